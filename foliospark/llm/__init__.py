@@ -1 +1 @@
-"""Training-data operators: text segmentation, normalisation, markup, language, repair, encoding, packing."""
+"""Training-data operators: sentence units, look-alike forms, pieces under a size, token ids."""
