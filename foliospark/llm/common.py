@@ -1,4 +1,4 @@
-"""Shared plumbing of the training-data operators: column-pruned reads, Arrow maps, bounded samples, durable cuts."""
+"""Shared plumbing of the training-data operators: column-pruned reads, Arrow maps, durable cuts."""
 
 from __future__ import annotations
 
@@ -55,11 +55,6 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_sample(df: DataFrame, rows: int) -> list[dict]:
-    """At most `rows` rows of df on the driver, for fitting a classifier. The bound is the caller's documented parameter."""
-    return df.limit(rows).toArrow().to_pylist()
-
-
 def distinct_rows(df: DataFrame, *keys: str) -> DataFrame:
     return df.dropDuplicates(list(keys)) if keys else df.distinct()
 

@@ -2,8 +2,8 @@
 
 A semi-Markov dynamic program picks whole spans between candidate positions. The score of a span adds how likely its
 first word opens and its last word closes a sentence, its length, and whether quotations and brackets balance inside it.
-Opening and closing words are learned from a bounded sample: the words that begin and end paragraphs against the words
-found around candidate positions.
+Opening and closing words are learned from all running paragraphs: the words that begin and end paragraphs against the
+words found around candidate positions, counted on the executors.
 
 Defined results: null and blank texts give no sentence; a text without any sentence end, a heading, a contents line, a
 bibliography entry gives one; repeated rows give one result; trailing white space belongs to no sentence.
@@ -22,9 +22,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bounded_sample, not_blank, read, spread
+from .common import arrow_map, not_blank, read, spread
 
-SAMPLE_ROWS = 12_000  #: paragraphs that the word model is fitted on, at most
+LEAST = 6  #: positions a word of the model is found at, at least
+#: The same as a share of the paragraphs. It bounds the model: with m positions a paragraph, at most m / SHARE words each
+#: of openers and closers are kept, whatever the number of paragraphs.
+SHARE = 1e-4
 MAX_CANDIDATES = 16  #: candidate positions one span may reach over
 
 #: Words before a full stop that don't end a sentence, for texts whose words the sample doesn't hold.
@@ -252,8 +255,8 @@ def split(text: str, kind: str | None = None, model: WordModel = WordModel()) ->
     return [len(text[:e].rstrip()) if text[e - 1].isspace() else e for e in reversed(out)]
 
 
-def fit(texts: list[str]) -> WordModel:
-    """The word model of running texts: paragraphs' first and last words against words around candidate positions."""
+def counts(texts: list[str]) -> tuple[Counter, Counter, Counter, Counter]:
+    """Of running texts: paragraphs' first words, words after candidate positions, last words, words before them."""
     starts, ends, before, after = Counter(), Counter(), Counter(), Counter()
     for t in texts:
         body = t.rstrip()
@@ -270,18 +273,46 @@ def fit(texts: list[str]) -> WordModel:
             after[_opener(body, nxt)] += 1
     for c in (starts, ends, before, after):
         c.pop("", None)
-    ns, na = max(1, sum(starts.values())), max(1, sum(after.values()))
-    ne, nb = max(1, sum(ends.values())), max(1, sum(before.values()))
+    return starts, after, ends, before
+
+
+def model_of(starts: Counter, after: Counter, ends: Counter, before: Counter, totals: tuple[int, int, int, int], least: float) -> WordModel:
+    """The word model of counts; totals: the sums over all words, kept or not."""
+    ns, na, ne, nb = (max(1, t) for t in totals)
     odds = lambda a, n, b, m: max(-6.0, min(1.0, math.log(((a + 0.3) / n) / ((b + 0.3) / m))))
     return WordModel(
-        {w: odds(starts[w], ns, c, na) for w, c in after.items() if c >= 6},
-        {w: odds(ends[w], ne, c, nb) for w, c in before.items() if c >= 6 and not w[-1:].isdigit()},
+        {w: odds(starts[w], ns, c, na) for w, c in after.items() if c >= least},
+        {w: odds(ends[w], ne, c, nb) for w, c in before.items() if c >= least and not w[-1:].isdigit()},
     )
 
 
-def fitted(spark: SparkSession, sf_dir: str, rows: int = SAMPLE_ROWS) -> WordModel:
-    df = read(spark, sf_dir, "odl_paragraphs", "kind", "text").where(F.col("kind").isin("paragraph", "text block", "list item") & (F.length("text") > 40))
-    return fit([r["text"] for r in bounded_sample(df.select("text"), rows)])
+def fit(texts: list[str]) -> WordModel:
+    """The word model of running texts: paragraphs' first and last words against words around candidate positions."""
+    c = counts(texts)
+    return model_of(*c, tuple(sum(x.values()) for x in c), max(LEAST, SHARE * len(texts)))
+
+
+def fitted(spark: SparkSession, sf_dir: str) -> WordModel:
+    """The word model of all running paragraphs. Only the words it keeps, and the sums, reach the driver."""
+    df = read(spark, sf_dir, "odl_paragraphs", "kind", "text").where(F.col("kind").isin("paragraph", "text block", "list item") & (F.length("text") > 40)).select("text")
+    least = max(LEAST, SHARE * df.count())
+
+    def run(b: pa.RecordBatch) -> dict:
+        starts, after, ends, before = counts(b.column(0).to_pylist())
+        out = {"opener": [], "word": [], "edge": [], "inner": []}
+        for opener, edge, inner in ((True, starts, after), (False, ends, before)):
+            words = [*(edge | inner)]
+            out["opener"] += [opener] * (len(words) + 1)
+            out["word"] += [*words, ""]  # the empty word, never counted itself, holds the sums
+            out["edge"] += [*(edge[w] for w in words), sum(edge.values())]
+            out["inner"] += [*(inner[w] for w in words), sum(inner.values())]
+        return out
+
+    words = arrow_map(spread(df), run, "opener boolean, word string, edge bigint, inner bigint").groupBy("opener", "word").agg(F.sum("edge").alias("edge"), F.sum("inner").alias("inner"))
+    kept = words.where((F.col("inner") >= least) | (F.col("word") == "")).toArrow().to_pylist()
+    sums = {r["opener"]: (r["edge"], r["inner"]) for r in kept if not r["word"]}
+    pick = lambda opener, col: Counter({r["word"]: r[col] for r in kept if r["word"] and r["opener"] == opener})
+    return model_of(pick(True, "edge"), pick(True, "inner"), pick(False, "edge"), pick(False, "inner"), sums.get(True, (0, 0)) + sums.get(False, (0, 0)), least)
 
 
 def split_sentences(df: DataFrame, model: WordModel, id_col: str = "para_id", text_col: str = "text", kind_col: str = "kind") -> DataFrame:
