@@ -28,7 +28,8 @@ LEAST = 6  #: positions a word of the model is found at, at least
 #: The same as a share of the paragraphs. It bounds the model: with m positions a paragraph, at most m / SHARE words each
 #: of openers and closers are kept, whatever the number of paragraphs.
 SHARE = 1e-4
-MAX_CANDIDATES = 16  #: candidate positions one span may reach over
+SHORT = 4  #: characters below which a span is short
+TURN = 5.0  #: cost of a span over which the depth of quotations and brackets changes
 
 #: Words before a full stop that don't end a sentence, for texts whose words the sample doesn't hold.
 ABBREVIATIONS = frozenset(
@@ -211,7 +212,7 @@ def _score(text: str, c: tuple[int, int, int], model: WordModel) -> float:
 
 def _length(n: int) -> float:
     """A mild prior against very short units."""
-    return -0.8 if n < 4 else 0.0
+    return -0.8 if n < SHORT else 0.0
 
 
 def split(text: str, kind: str | None = None, model: WordModel = WordModel()) -> list[int]:
@@ -240,14 +241,20 @@ def split(text: str, kind: str | None = None, model: WordModel = WordModel()) ->
     starts = [0] + [c[2] for c in cands]
     base = [0] + depth
     best, back = [0.0], [0]
+    # of the starts that are no longer short, the first best of each depth and of all: the program is linear
+    same, top_all, low = {}, None, 0
     for j in range(1, len(ends) + 1):
-        top, arg, e, d = -math.inf, 0, ends[j - 1], depth[j - 1]
-        for i in range(max(0, j - MAX_CANDIDATES), j):
-            s = best[i] + _length(e - starts[i]) - (5.0 if base[i] != d else 0.0)
-            if s > top:
-                top, arg = s, i
+        e, d = ends[j - 1], depth[j - 1]
+        while low < j and e - starts[low] >= SHORT:
+            if base[low] not in same or best[low] > best[same[base[low]]]:
+                same[base[low]] = low
+            if top_all is None or best[low] > best[top_all]:
+                top_all = low
+            low += 1
+        ways = [*range(low, j)] + ([same[d]] if d in same else []) + ([top_all] if top_all is not None else [])
+        top, arg = max((best[i] + _length(e - starts[i]) - (TURN if base[i] != d else 0.0), -i) for i in ways)
         best.append(top + score[j - 1])
-        back.append(arg)
+        back.append(-arg)
     out, j = [], len(ends)
     while j:
         out.append(ends[j - 1])
