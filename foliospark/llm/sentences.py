@@ -1,7 +1,8 @@
 """Problem 1: sentence boundaries across languages and scripts.
 
 A semi-Markov dynamic program picks whole spans between candidate positions. The score of a span adds how likely its
-first word opens and its last word closes a sentence, its length, and whether quotations and brackets balance inside it.
+first word opens and its last word closes a sentence, and whether quotations and brackets balance inside it. Length counts
+only as a penalty on spans of under four characters.
 Opening and closing words are learned from all running paragraphs: the words that begin and end paragraphs against the
 words found around candidate positions, counted on the executors.
 
