@@ -1,9 +1,8 @@
 """Problem 2: visually identical text with different characters.
 
 Every value gets one form: Unicode compatibility composition (NFKC), white space mapped one to one to the plain space,
-default-ignorable characters removed, look-alike letters of other scripts mapped to the Latin twin (in a word of
-letters that have no twin the twins stay what they are, as there a mixed word is what must be undone: Latin letters in
-a Cyrillic word become Cyrillic first), look-alike hyphens to one hyphen. The forms of distinct values are computed once.
+default-ignorable characters removed, look-alike letters of other scripts mapped to the Latin twin (one map, whatever the
+word), look-alike hyphens to one hyphen. The forms of distinct values are computed once.
 
 Full case folding is part of the method, but in this project's data upper and lower case differ, so `form` keeps case and
 `fold` is offered beside it for comparisons that ignore it. Line breaks and the number of spaces count.
@@ -30,7 +29,7 @@ CYRILLIC_TWINS = "аеорсухѕіјһԁԛԝАВЕКМНОРСТХЅІЈҮ"
 CYRILLIC_LATIN = "aeopcyxsijhdqwABEKMHOPCTXSIJY"
 GREEK_TWINS = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο"
 GREEK_LATIN = "ABEZHIKMNOPTYXo"
-#: Hyphens that look like the hyphen-minus, and quotation marks that look like an apostrophe.
+#: Hyphens that look like the hyphen-minus.
 HYPHENS = "‐‑‒⁃−"
 #: Ranges of default-ignorable code points, from the Unicode property Default_Ignorable_Code_Point.
 IGNORABLE_RANGES = "00AD 034F 061C 115F-1160 17B4-17B5 180B-180F 200B-200F 202A-202E 2060-206F 3164 FE00-FE0F FEFF FFA0 FFF0-FFF8 1BCA0-1BCA3 1D173-1D17A E0000-E0FFF"
