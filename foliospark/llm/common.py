@@ -21,12 +21,12 @@ def read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over at least as many partitions as there are cores, for Python work on inputs of a few files.
+    """df over at least as many partitions as there are cores, for Python work on small inputs.
 
-    Inputs of many files pass untouched, so nothing is shuffled at scale."""
-    spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= want else df.repartition(want)
+    Only a scan of fewer partitions than cores is dealt out anew, so what moves is below cores x maxPartitionBytes
+    whatever the table's size; larger scans pass untouched."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= want else df.repartition(want)
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, Iterable]], schema: str) -> DataFrame:
@@ -47,16 +47,19 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, Iterable]]
 def durable(df: DataFrame) -> DataFrame:
     """df cut from its lineage by a reliable checkpoint in the folder the cluster names in spark.checkpoint.dir.
 
-    A folder of our own is set only where none is named (tests, single machine)."""
+    Where none is named, a single machine (tests) gets a folder of its own; a cluster gets an error."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.split("[")[0] == "local":
+            raise ValueError("name a shared folder in spark.checkpoint.dir")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"foliospark-checkpoint-{uuid.uuid4().hex}"))
     return df.checkpoint(eager=True)
 
 
-def distinct_rows(df: DataFrame, *keys: str) -> DataFrame:
-    return df.dropDuplicates(list(keys)) if keys else df.distinct()
+def hashed_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """At most `most` rows, spread over all rows by the hash of the key and the same whatever the layout."""
+    return df.orderBy(F.xxhash64(key), key).limit(most)
 
 
 def not_blank(col: str):
