@@ -1 +1 @@
-"""Training-data operators: sentence units, look-alike forms, pieces under a size, token ids."""
+"""Training-data operators: sentences, look-alikes, pieces, markup, languages, scans, token ids, packing, cut texts."""

@@ -55,7 +55,7 @@ _MASTER = re.compile(
   | (?P<icode><code\b[^>]*>.*?</code\s*>)
   | (?P<texttt>\\(?:texttt|verb|lstinline)\{[^}\n]*\})
   | (?P<tick>(?<![`\\])(?P<t>`{1,2})(?!`)[^\n]+?(?<!`)(?P=t)(?!`))
-  | (?P<texcomment>^[ \t]*%.*$)
+  | (?P<texcomment>^[ \t]*%[^\n]*$)
   | (?P<html_table><table\b.*?(?:</table\s*>|\Z))
   | (?P<wiki_table>^\{\|.*?(?:^\|\}|\Z))
   | (?P<tex_table>\\begin\{(?P<tt>tabular[x*]?|longtable)\}.*?(?:\\end\{(?P=tt)\}|\Z))
@@ -534,7 +534,7 @@ def clean(text: str, page: list[tuple[Leaf, str]]) -> str:
         if y == "heading":
             out.append("\n\n# " + (_inline(s.split("\n")[0].strip()) if leaf.atom == "setext" else ""))
         elif y == "list_item":
-            out.append("\n- ")
+            out.append(("\n\n" if glue == "\n\n" else "\n") + "- ")
         elif y == "code_block":
             body = re.sub(r"\A[ \t]*(?:`{3,}|~{3,})[^\n]*\n|\n?[ \t]*(?:`{3,}|~{3,})[ \t]*\Z|\A\\begin\{\w+\}(?:\[[^\]]*\])?\n?|\\end\{\w+\}\Z|\A(?:<[^>]*>)+\n?|(?:</[^>]*>)+\Z", "", s)
             out.append("\n\n```\n" + (html.unescape(body) if "<" in s[:1] else body).strip("\n") + "\n```\n\n")
