@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, durable, read, spread
 from .lookalikes import canonical
 
+HELD = 400_000  #: pairs that a task counts before it hands them on
 LEAST = 4  #: times a word must occur, at least, to be in the lexicon
 #: The same as a share of all words and pairs; it bounds the lexicon by 1 / SHARE entries, whatever the corpus.
 SHARE = 2e-6
@@ -45,7 +46,6 @@ _CJK = "぀-ヿ㐀-鿿豈-﫿"
 _W = re.compile(rf"(?:[^\W_{_CJK}฀-๿]|[̀-ًͯ-ٟऀ-ॣ])+(?:-(?:[^\W_{_CJK}฀-๿]|[̀-ًͯ-ٟऀ-ॣ])+)*")
 _RUN = re.compile(rf"[{_CJK}]{{3,}}")
 _MASK = re.compile(r"https?://\S+|`[^`\n]*`|\$[^$\n]*\$|\\\(.*?\\\)|</?[a-zA-Z!][^>\n]*>|&\w+;|\\\w+\*?(?:\{[^}\n]*\})?")
-_LOOK = re.compile(r"[^\x00-\x7f]")
 _NUMBER = re.compile(r"(?<![\w.,/])(?=[\d.,]*[OolISB])(?=[OolISB.,]*\d)[\dOolISB]+(?:[.,][\dOolISB]+)*(?![A-Za-z_\d])")
 _HYPHEN = re.compile(r"((?:[^\W\d_]|[̀-ͯऀ-ॣ])[^\s\-]*)-\s*$")
 _NEXT = re.compile(r"\s*((?:[^\W_]|[̀-ͯऀ-ॣ])+)")
@@ -54,6 +54,14 @@ _FOLIO = re.compile(r"^\W*(?:(?:p|pp|page|pág|pag|seite|s|стр|с|หน้
 _MARKUP = re.compile(r"^\s*(?:#|[-*+•·]\s|\|.*\||<|\\|={2,}|[`~]{3}|>|\d+[.)]\s|%|\$\$|\{\||!\s)")
 _CONTENTS = re.compile(r"[.·…]{3,}\s*\d+\s*$|(?:\. ){3,}\d+\s*$")
 _SENTENCE = re.compile(r"[.!?。！？।؟…:;,、，；]$")
+_NO_HEAD = re.compile(r"[!?;=_{}]|\.\w")
+_MARKED = re.compile(r"[`$\\<&]|://")
+_NEAR_DIGIT = re.compile(r"[OolISB][.,]?\d|\d[.,]?[OolISB]")
+_FOREIGN = re.compile(r"[Ͱ-ӿ‐-⁯！-￿]")
+_TWINNED = re.compile(r"[Ͱ-Ͽ‐-⁯！-￿]|[A-Za-z][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-z]|\b[Ѐ-ӿ]\b")
+_RUSSIAN = re.compile(r"[бвгджзийклмнптфцчшщъыьэюя]{2}")
+_ITEM = re.compile(r"\s*(?:[-*+•·]|\d+[.)])\s")
+_NO_MAYBE = re.compile(r"[!?。！？।؟…:;,、，；]$|[.]{2,}$|-$")
 _FENCE = re.compile(r"^\s*(`{3,}|~{3,})")
 _FORM = re.compile(r"^\d{0,4}\s*[^|.!?]{1,40} \| [^|.!?]{1,90}\.?$|^[^|!?]{2,90} · (?:19|20)[\dOolI]{2}(?:\s+\d{1,4})?\.?$|^\d{1,4}\s{2,}[^|.!?]{2,90}\.?$|^[^|.!?]{2,90}\s{2,}\d{1,4}\.?$")
 
@@ -61,13 +69,14 @@ _FORM = re.compile(r"^\d{0,4}\s*[^|.!?]{1,40} \| [^|.!?]{1,90}\.?$|^[^|!?]{2,90}
 def is_head_form(line: str) -> bool:
     """Whether a line is a running head by its form alone."""
     s = line.strip()
-    if len(s) > 120 or _MARKUP.match(s) or _CONTENTS.search(s):
+    if len(s) > 120 or _MARKUP.match(s) or s[-1:].isdigit() and _CONTENTS.search(s):
         return False
-    if _FORM.match(s):
+    if (" | " in s or " · " in s or "  " in s) and _FORM.match(s):
         return True
+    if not s.isupper() or _NO_HEAD.search(s):
+        return False
     letters = [c for c in s if c.isalpha()]
-    cased = [c for c in letters if c.lower() != c.upper()]
-    return len(cased) >= 5 and len(cased) == len(letters) and all(c.isupper() for c in cased) and not re.search(r"[!?;=_{}]|\.\w", s)
+    return len(letters) >= 5 and all(c.isupper() for c in letters)
 
 
 def head_key(line: str) -> str:
@@ -200,20 +209,28 @@ TEXTS = (("odl_paragraphs", "para_id", "text"), ("page_outcomes", "out_id", "mar
 def lexicon(spark: SparkSession, sf_dir: str) -> Lexicon:
     """The lexicon of all texts; only what passes the share reaches the driver."""
 
-    def run(b: pa.RecordBatch) -> dict:
+    def run(batches):
         words, pairs = Counter(), Counter()
-        for t in b.column(0).to_pylist():
-            ts = tokens(t)
-            words.update(ts)
-            pairs.update(zip(ts, ts[1:]))
-        keep = [(p, n) for p, n in pairs.items()]
-        return {
-            "a": [*words, "", *(p[0] for p, _ in keep), ""],
-            "b": [*[None] * (len(words) + 1), *(p[1] for p, _ in keep), ""],
-            "n": [*words.values(), sum(words.values()), *(n for _, n in keep), sum(pairs.values())],
-        }
-
-    parts = [arrow_map(spread(read(spark, sf_dir, t, c).where(F.length(c) > 0)), run, "a string, b string, n bigint") for t, _, c in TEXTS]
+
+        def out() -> pa.RecordBatch:
+            n = [*words.values(), *pairs.values()]
+            a = [*words, *(p[0] for p in pairs), ""]
+            b = [*[None] * len(words), *(p[1] for p in pairs), ""]
+            got = pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array([*n, sum(n)], pa.int64())], names=["a", "b", "n"])
+            words.clear()
+            pairs.clear()
+            return got
+
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                ts = tokens(t)
+                words.update(ts)
+                pairs.update(zip(ts, ts[1:]))
+                if len(pairs) > HELD:
+                    yield out()
+        yield out()
+
+    parts = [spread(read(spark, sf_dir, t, c).where(F.length(c) > 0)).mapInArrow(run, "a string, b string, n bigint") for t, _, c in TEXTS]
     sums = durable(parts[0].union(parts[1]).union(parts[2]).groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST))
     total = sums.where(F.col("a") == "").agg(F.max("n")).first()[0] or 0
     kept = sums.where((F.col("n") >= max(LEAST, SHARE * total)) & (F.col("a") != "")).toArrow().to_pydict()
@@ -251,9 +268,9 @@ def lines_of(text: str, heading: bool = False) -> list[tuple[str, str]]:
             out.append((line, "head"))
             top = True
             continue
-        elif _MARKUP.match(s) and not re.match(r"\s*(?:[-*+•·]|\d+[.)])\s", line) or _CONTENTS.search(s):
+        elif _MARKUP.match(s) and not _ITEM.match(line) or s[-1].isdigit() and _CONTENTS.search(s):
             out.append((line, "aside"))
-        elif len(s) <= 90 and (top or i == last) and not re.search(r"[!?。！？।؟…:;,、，；]$|[.]{2,}$|-$", s) and (not s.endswith(".") or len(s) < 70):
+        elif len(s) <= 90 and (top or i == last) and not _NO_MAYBE.search(s) and (not s.endswith(".") or len(s) < 70):
             out.append((line, "maybe"))
             if top:
                 continue
@@ -263,6 +280,19 @@ def lines_of(text: str, heading: bool = False) -> list[tuple[str, str]]:
     return out
 
 
+_CJK_DOUBT = re.compile("[" + "".join(sorted({a for a, _ in CONFUSIONS if len(a) == 1 and ord(a) > 0x3000})) + "]")
+
+
+def quiet(text: str, lex: Lexicon) -> bool:
+    """Whether a text surely needs nothing: one line of running text, all of whose words are known."""
+    if "\n" in text or len(text) < 70 or not (len(text) > 120 or text[-1] in ".!?。！？।؟"):
+        return False
+    if "  " in text or " | " in text or " · " in text or _NEAR_DIGIT.search(text) or not text.isascii() and (_CJK_DOUBT.search(text) or _FOREIGN.search(text) and _TWINNED.search(text)):
+        return False
+    known = lex.known
+    return all(bare(w) in known or len(w) < 2 or w.isdigit() or not bare(w) for w in set(_W.findall(text)) - known)
+
+
 def mend(text: str, lex: Lexicon, heading: bool = False) -> tuple[list[tuple[int, str]], list[tuple[int, str]], list[tuple[int, str, str]]]:
     """Of a text: ([(line, fix)], [(line, key of a line that may be a running head)], [(line, misread, repair)]).
 
@@ -286,18 +316,19 @@ def mend(text: str, lex: Lexicon, heading: bool = False) -> tuple[list[tuple[int
     skip = 0
     repairs: list[tuple[int, str, str]] = []
     for k, (no, line) in enumerate(run):
-        body = _MASK.sub(" ", line) if not line.isascii() or re.search(r"[`$\\<&:]", line) else line
+        body = _MASK.sub(" ", line) if _MARKED.search(line) else line
         if skip:
             body = " " * skip + body[skip:]
             skip = 0
-        if _LOOK.search(body):
-            body = canonical(body) if re.search(r"[Ͱ-Ͽ‐-⁯！-￿]|[A-Za-z][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-z]|\b[Ѐ-ӿ]\b", body) and not re.search(r"[бвгджзийклмнптфцчшщъыьэюя]{2}", body) else body
-        for m in _NUMBER.finditer(body):
+        if not body.isascii() and _FOREIGN.search(body) and _TWINNED.search(body) and not _RUSSIAN.search(body):
+            body = canonical(body)
+        for m in _NUMBER.finditer(body) if _NEAR_DIGIT.search(body) else ():
             good = m.group().translate(str.maketrans("OolISB", "001158"))
             if len(m.group()) > 2 or m.group() not in lex.words or lex.words.get(good, 0) >= RATIO_DIGIT * lex.words[m.group()]:
                 if not re.fullmatch(r"[SBI]\d|\d[SBIlo]", m.group()) or lex.words.get(good, 0) >= RATIO * max(1, lex.words.get(m.group(), 0)):
                     repairs.append((no, m.group(), good))
-        tail = _HYPHEN.search(body.rstrip())
+        end = body.rstrip()
+        tail = end.endswith("-") and _HYPHEN.search(end)
         got = _W.findall(body)
         if tail and k + 1 < len(run) and got:
             nxt = _NEXT.match(run[k + 1][1])
@@ -359,9 +390,8 @@ def _fixes(spark: SparkSession, sf_dir: str, lex: Lexicon) -> DataFrame:
 
         def run(b: pa.RecordBatch, rec=table) -> dict:
             got: dict = {n: [] for n in ("rec", "document_id", "page_index", "row_id", "line_no", "fix", "key")}
-            known = lex.known
             for d, p, i, k, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if "\n" not in t and len(t) > 120 and t.isascii() and known.issuperset(_W.findall(t)) and not _NUMBER.search(t):
+                if quiet(t, lex):
                     continue
                 fixes, maybe, _ = mend(t, lex, k == "heading")
                 for no, fix, line in [*((n, f, None) for n, f in fixes), *((n, None, x) for n, x in maybe)]:
