@@ -89,14 +89,9 @@ def head_key(line: str) -> str:
     return re.sub(r"\W+", "", s.translate(str.maketrans("c01i598hf6日曰永틀", "eollsgbbee日日水를")))
 
 
-def tokens(text: str) -> list[str]:
-    """Words of a text, and the character triples of its runs without spaces."""
-    if text.isascii():
-        return _W.findall(text)
-    out = _W.findall(text)
-    for r in _RUN.findall(text):
-        out += [r[i : i + 3] for i in range(len(r) - 2)]
-    return out
+def triples(text: str) -> list[str]:
+    """The character triples of the runs without spaces of a text."""
+    return [r[i : i + 3] for r in _RUN.findall(text) for i in range(len(r) - 2)]
 
 
 def bare(token: str) -> str:
@@ -223,9 +218,11 @@ def lexicon(spark: SparkSession, sf_dir: str) -> Lexicon:
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                ts = tokens(t)
+                ts = _W.findall(t)
                 words.update(ts)
                 pairs.update(zip(ts, ts[1:]))
+                if not t.isascii():
+                    words.update(triples(t))
                 if len(pairs) > HELD:
                     yield out()
         yield out()
@@ -287,7 +284,7 @@ def quiet(text: str, lex: Lexicon) -> bool:
     """Whether a text surely needs nothing: one line of running text, all of whose words are known."""
     if "\n" in text or len(text) < 70 or not (len(text) > 120 or text[-1] in ".!?。！？।؟"):
         return False
-    if "  " in text or " | " in text or " · " in text or _NEAR_DIGIT.search(text) or not text.isascii() and (_CJK_DOUBT.search(text) or _FOREIGN.search(text) and _TWINNED.search(text)):
+    if "  " in text or " | " in text or " · " in text or text.isupper() or _NEAR_DIGIT.search(text) or not text.isascii() and (_CJK_DOUBT.search(text) or _FOREIGN.search(text) and _TWINNED.search(text)):
         return False
     known = lex.known
     return all(bare(w) in known or len(w) < 2 or w.isdigit() or not bare(w) for w in set(_W.findall(text)) - known)
@@ -386,20 +383,21 @@ def _fixes(spark: SparkSession, sf_dir: str, lex: Lexicon) -> DataFrame:
     schema = "rec string, document_id string, page_index int, row_id bigint, line_no bigint, fix string, key string"
     out = None
     for table, key, col in TEXTS:
-        kind = F.col("kind") if table == "odl_paragraphs" else F.lit(None).cast("string")
+        # headings hold no line to mend
+        body = ~F.coalesce(F.col("kind") == "heading", F.lit(False)) if table == "odl_paragraphs" else F.lit(True)
 
         def run(b: pa.RecordBatch, rec=table) -> dict:
             got: dict = {n: [] for n in ("rec", "document_id", "page_index", "row_id", "line_no", "fix", "key")}
-            for d, p, i, k, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for d, p, i, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if quiet(t, lex):
                     continue
-                fixes, maybe, _ = mend(t, lex, k == "heading")
+                fixes, maybe, _ = mend(t, lex)
                 for no, fix, line in [*((n, f, None) for n, f in fixes), *((n, None, x) for n, x in maybe)]:
                     for name, v in zip(got, (rec, d, p, i, no, fix, line), strict=True):
                         got[name].append(v)
             return got
 
-        df = read(spark, sf_dir, table).where(F.length(col) > 0).select("document_id", "page_index", F.col(key).alias("i"), kind.alias("k"), F.col(col).alias("t"))
+        df = read(spark, sf_dir, table).where((F.length(col) > 0) & body).select("document_id", "page_index", F.col(key).alias("i"), F.col(col).alias("t"))
         part = arrow_map(spread(df), run, schema)
         out = part if out is None else out.union(part)
     return durable(out.distinct())
