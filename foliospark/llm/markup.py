@@ -114,7 +114,7 @@ def leaves(text: str) -> list[Leaf]:
         if m.start() < at:
             continue
         plain(at, m.start())
-        atom = next(a for a in ATOMS if a in m.groupdict() and m.group(a) is not None)
+        atom = m.lastgroup  # the outermost group closes last
         out.append(Leaf(m.start(), m.end(), atom))
         if atom.endswith("_table"):
             out += [Leaf(x.start(), x.end(), x.lastgroup) for x in _INLINE_MATH.finditer(text, m.start(), m.end())]
