@@ -1,10 +1,10 @@
 """Problem 1: sentence boundaries across languages and scripts.
 
-A semi-Markov dynamic program picks whole spans between candidate positions. The score of a span adds how likely its
-first word opens and its last word closes a sentence, and whether quotations and brackets balance inside it. Length counts
-only as a penalty on spans of under four characters.
-Opening and closing words are learned from all running paragraphs: the words that begin and end paragraphs against the
-words found around candidate positions, counted on the executors.
+A semi-Markov dynamic program picks whole spans between candidate positions, of every text that has one. The score of a
+span adds how likely its first word opens and its last word closes a sentence, whether quotations and brackets balance
+inside it, and how likely its length is in its script.
+All is learned from all running paragraphs, counted on the executors: opening and closing words from the words that begin
+and end paragraphs against the words found around candidate positions, lengths from paragraphs of one sentence.
 
 Defined results: null and blank texts give no sentence; a text without any sentence end, a heading, a contents line, a
 bibliography entry gives one; repeated rows give one result; trailing white space belongs to no sentence.
@@ -47,6 +47,7 @@ _TERMS = ".!?…。！？．｡؟।॥۔"
 _CAND = re.compile(rf"(?:[{_TERMS}][{_IGNORABLE}]*)+(?:[\s]?[»](?=[\s]|$)|[{_CLOSERS}]|“(?=[\s,;]|$))*")
 _THAI_SPACE = re.compile(r"(?<=[ก-๛”»\"')\]0-9" + _IGNORABLE + r"])[ \n    　]+(?=[ก-๛“(\"" + _IGNORABLE + r"0-9])")
 _THAI = re.compile(r"[ก-๛]")
+_HANGUL = re.compile(r"[가-힣]")
 _MARKS = re.compile(r"[“”„«»「」『』（）()\[\]\"‘’]")
 _LIST_MARK = regex.compile(r"\s*(?:[(（]?(?:\d{1,3}|\p{L}|[ivxIVX]{1,4})[.)）．]|\[\d+\]|[•·▪‣*–-])[\s.]*$")
 _BREAKS = frozenset(" \n\t\u00a0,;:()[]\"“”„«»「」『』（）。！？、，")
@@ -78,6 +79,7 @@ class WordModel:
 
     opens: dict[str, float] = field(default_factory=dict)
     closes: dict[str, float] = field(default_factory=dict)
+    lengths: dict[str, tuple[float, float]] = field(default_factory=dict)  # mean and deviation of log length by script
 
 
 def _opener(text: str, at: int) -> str:
@@ -109,7 +111,10 @@ def _closer(text: str, start: int) -> str:
     word = text[k:start]
     if not word.isascii() and _IGNORES.search(word):
         word = word.translate(_DROP)
-    return word.lower().lstrip(".-'’")
+    word = word.lower().lstrip(".-'’")
+    if word[:1].isdigit() and not word[-1].isdigit():  # a number before a unit or an ending: one word whatever the number
+        word = "0" + word.lstrip("0123456789.,-")
+    return word
 
 
 def candidates(text: str) -> list[tuple[int, int, int]]:
@@ -184,6 +189,8 @@ def _score(text: str, c: tuple[int, int, int], model: WordModel) -> float:
     at = _OPEN_MARKS.match(text, nxt).end()
     c1 = text[at : at + 1]
     score = 2.0 + o
+    if at == end and text[end - 1] in "”」』’" and text.startswith(_GOES_ON, at):
+        return score - 8.0
     if term in _CJK_TERMS or term in "।॥":
         return score - (0.7 if text[end - 1] in "”」』’" else 0) + (0 if term != "।" else 1)
     if term == "…" or text.count(".", mark, end) > 1:
@@ -211,9 +218,26 @@ def _score(text: str, c: tuple[int, int, int], model: WordModel) -> float:
     return score
 
 
-def _length(n: int) -> float:
-    """A mild prior against very short units."""
-    return -0.8 if n < SHORT else 0.0
+#: Weight of squared deviations of log length, and how many deviations count: beyond, the term is constant.
+LENGTH_WEIGHT, LENGTH_CLIP = 0.25, 2.0
+#: What goes on after a quotation that closes without a space.
+_GOES_ON = ("と", "って", "という", "などと", "라고", "이라고", "하고", "라는", "이라는", "라며", "라면서")
+
+
+def script_of(text: str) -> str:
+    """The kind of writing that lengths are learned by: Hangul, characters that need no spaces, Thai, or other words."""
+    if text.isascii():
+        return "w"
+    return "k" if _HANGUL.search(text) else "c" if _UNSPACED.search(text) else "t" if _THAI.search(text) else "w"
+
+
+def _length(n: int, of: tuple[float, float] | None = None) -> float:
+    """Log likelihood of a length, up to a constant, clipped; and a penalty on very short units."""
+    short = -0.8 if n < SHORT else 0.0
+    if of is None:
+        return short
+    z = (math.log(max(1, n)) - of[0]) / of[1]
+    return short - LENGTH_WEIGHT * min(LENGTH_CLIP * LENGTH_CLIP, z * z)
 
 
 def split(text: str, kind: str | None = None, model: WordModel = WordModel()) -> list[int]:
@@ -235,25 +259,30 @@ def split(text: str, kind: str | None = None, model: WordModel = WordModel()) ->
         return [last]
     ends = [c[0] for c in cands] + [last]
     depth = _depths(text, ends)
-    score = [_score(text, c, model) for c in cands]
-    if not any(depth[:-1]) and all(abs(s) > 2.4 for s in score):  # each position is decided whatever the others are
-        return [e for e, s in zip(ends, score, strict=False) if s > 0] + [last]
-    score.append(0.0)
+    score = [_score(text, c, model) for c in cands] + [0.0]
+    of = model.lengths.get(script_of(text))
+    far = SHORT if of is None else max(SHORT, math.exp(of[0] + LENGTH_CLIP * of[1]))  # from here on the length counts the same
+    constant = 0.0 if of is None else -LENGTH_WEIGHT * LENGTH_CLIP * LENGTH_CLIP
     starts = [0] + [c[2] for c in cands]
     base = [0] + depth
     best, back = [0.0], [0]
-    # of the starts that are no longer short, the first best of each depth and of all: the program is linear
+    # of the starts that are far, the first best of each depth and of all: the program is linear
     same, top_all, low = {}, None, 0
     for j in range(1, len(ends) + 1):
         e, d = ends[j - 1], depth[j - 1]
-        while low < j and e - starts[low] >= SHORT:
+        while low < j and e - starts[low] >= far:
             if base[low] not in same or best[low] > best[same[base[low]]]:
                 same[base[low]] = low
             if top_all is None or best[low] > best[top_all]:
                 top_all = low
             low += 1
-        ways = [*range(low, j)] + ([same[d]] if d in same else []) + ([top_all] if top_all is not None else [])
-        top, arg = max((best[i] + _length(e - starts[i]) - (TURN if base[i] != d else 0.0), -i) for i in ways)
+        top, arg = -math.inf, 0
+        for i in (same.get(d), top_all):
+            if i is not None and (v := (best[i] + constant - (TURN if base[i] != d else 0.0), -i)) > (top, arg):
+                top, arg = v
+        for i in range(low, j):
+            if (v := (best[i] + _length(e - starts[i], of) - (TURN if base[i] != d else 0.0), -i)) > (top, arg):
+                top, arg = v
         best.append(top + score[j - 1])
         back.append(-arg)
     out, j = [], len(ends)
@@ -263,9 +292,10 @@ def split(text: str, kind: str | None = None, model: WordModel = WordModel()) ->
     return [len(text[:e].rstrip()) if text[e - 1].isspace() else e for e in reversed(out)]
 
 
-def counts(texts: list[str]) -> tuple[Counter, Counter, Counter, Counter]:
-    """Of running texts: paragraphs' first words, words after candidate positions, last words, words before them."""
-    starts, ends, before, after = Counter(), Counter(), Counter(), Counter()
+def counts(texts: list[str]) -> tuple[Counter, Counter, Counter, Counter, Counter]:
+    """Of running texts: paragraphs' first words, words after candidate positions, last words, words before them; and of
+    those of one sentence number, sum and sum of squares of log length by script, in thousandths."""
+    starts, ends, before, after, lengths = Counter(), Counter(), Counter(), Counter(), Counter()
     for t in texts:
         body = t.rstrip()
         if is_one_unit(t, None) or len(body) < 20:
@@ -276,28 +306,40 @@ def counts(texts: list[str]) -> tuple[Counter, Counter, Counter, Counter]:
         while stop and body[stop - 1] in _TERMS + "\"”’»」』）)]“ " + _IGNORABLE:
             stop -= 1
         ends[_closer(body, stop)] += 1
-        for _, mark, nxt in candidates(body):
+        cands = candidates(body)
+        for _, mark, nxt in cands:
             before[_closer(body, mark)] += 1
             after[_opener(body, nxt)] += 1
+        if not cands and body[-1] not in ",;:、，":
+            k, x = script_of(body), math.log(len(body))
+            lengths[k, 0] += 1000
+            lengths[k, 1] += round(1000 * x)
+            lengths[k, 2] += round(1000 * x * x)
     for c in (starts, ends, before, after):
         c.pop("", None)
-    return starts, after, ends, before
+    return starts, after, ends, before, lengths
 
 
-def model_of(starts: Counter, after: Counter, ends: Counter, before: Counter, totals: tuple[int, int, int, int], least: float) -> WordModel:
+def model_of(starts: Counter, after: Counter, ends: Counter, before: Counter, lengths: Counter, totals: tuple[int, int, int, int], least: float) -> WordModel:
     """The word model of counts; totals: the sums over all words, kept or not."""
     ns, na, ne, nb = (max(1, t) for t in totals)
     odds = lambda a, n, b, m: max(-6.0, min(1.0, math.log(((a + 0.3) / n) / ((b + 0.3) / m))))
+    spread_of = {}
+    for k in "wkct":
+        if (n := lengths[k, 0] / 1000) >= LEAST:
+            mean = lengths[k, 1] / 1000 / n
+            spread_of[k] = (mean, max(0.2, lengths[k, 2] / 1000 / n - mean * mean) ** 0.5)
     return WordModel(
         {w: odds(starts[w], ns, c, na) for w, c in after.items() if c >= least},
         {w: odds(ends[w], ne, c, nb) for w, c in before.items() if c >= least and not w[-1:].isdigit()},
+        spread_of,
     )
 
 
 def fit(texts: list[str]) -> WordModel:
     """The word model of running texts: paragraphs' first and last words against words around candidate positions."""
     c = counts(texts)
-    return model_of(*c, tuple(sum(x.values()) for x in c), max(LEAST, SHARE * len(texts)))
+    return model_of(*c, tuple(sum(x.values()) for x in c[:4]), max(LEAST, SHARE * len(texts)))
 
 
 def fitted(spark: SparkSession, sf_dir: str) -> WordModel:
@@ -306,7 +348,7 @@ def fitted(spark: SparkSession, sf_dir: str) -> WordModel:
     least = max(LEAST, SHARE * df.count())
 
     def run(b: pa.RecordBatch) -> dict:
-        starts, after, ends, before = counts(b.column(0).to_pylist())
+        starts, after, ends, before, lengths = counts(b.column(0).to_pylist())
         out = {"opener": [], "word": [], "edge": [], "inner": []}
         for opener, edge, inner in ((True, starts, after), (False, ends, before)):
             words = [*(edge | inner)]
@@ -314,13 +356,19 @@ def fitted(spark: SparkSession, sf_dir: str) -> WordModel:
             out["word"] += [*words, ""]  # the empty word, never counted itself, holds the sums
             out["edge"] += [*(edge[w] for w in words), sum(edge.values())]
             out["inner"] += [*(inner[w] for w in words), sum(inner.values())]
+        for (k, i), n in lengths.items():
+            out["opener"].append(None)
+            out["word"].append(f"{k}{i}")
+            out["edge"].append(n)
+            out["inner"].append(0)
         return out
 
     words = arrow_map(spread(df), run, "opener boolean, word string, edge bigint, inner bigint").groupBy("opener", "word").agg(F.sum("edge").alias("edge"), F.sum("inner").alias("inner"))
-    kept = words.where((F.col("inner") >= least) | (F.col("word") == "")).toArrow().to_pylist()
+    kept = words.where((F.col("inner") >= least) | (F.col("word") == "") | F.col("opener").isNull()).toArrow().to_pylist()
+    lengths = Counter({(r["word"][0], int(r["word"][1])): r["edge"] for r in kept if r["opener"] is None})
     sums = {r["opener"]: (r["edge"], r["inner"]) for r in kept if not r["word"]}
     pick = lambda opener, col: Counter({r["word"]: r[col] for r in kept if r["word"] and r["opener"] == opener})
-    return model_of(pick(True, "edge"), pick(True, "inner"), pick(False, "edge"), pick(False, "inner"), sums.get(True, (0, 0)) + sums.get(False, (0, 0)), least)
+    return model_of(pick(True, "edge"), pick(True, "inner"), pick(False, "edge"), pick(False, "inner"), lengths, sums.get(True, (0, 0)) + sums.get(False, (0, 0)), least)
 
 
 def split_sentences(df: DataFrame, model: WordModel, id_col: str = "para_id", text_col: str = "text", kind_col: str = "kind") -> DataFrame:
