@@ -1,14 +1,17 @@
 """Problem 2: visually identical text with different characters.
 
-Every value gets one form: Unicode compatibility composition (NFKC), white space mapped one to one to the plain space,
+Every value gets one form: Unicode compatibility decomposition, white space mapped one to one to the plain space,
 default-ignorable characters removed, look-alike letters of other scripts mapped to the Latin twin (one map, whatever the
-word), look-alike hyphens to one hyphen. The forms of distinct values are computed once.
+word, so that accented letters on twins meet too), look-alike hyphens to one hyphen, then composition. One table serves all
+texts. The forms of distinct values of a batch are computed once. The form is for comparison: a Cyrillic word comes out
+partly Latin in it; `readable` leaves the twins alone.
 
-Full case folding is part of the method, but in this project's data upper and lower case differ, so `form` keeps case and
-`fold` is offered beside it for comparisons that ignore it. Line breaks and the number of spaces count.
+Full case folding is part of the method, but in this project's data upper and lower case differ, so `canonical` keeps case
+and p2_forms gives the folded form beside it. Line breaks and the number of spaces count. Straight and curly quotation marks
+stay different.
 
-Defined results: null gives null; a blank or empty value gives a form but never a pair; texts of any length are handled
-whole; repeated rows are one row; equal characters are no case.
+Defined results: null gives null; a blank or empty value gives a form but never a pair, nor does a row without a document;
+texts of any length are handled whole; repeated rows are one row; equal characters are no case.
 """
 
 from __future__ import annotations
@@ -22,13 +25,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, not_blank, read, spread
+from .common import arrow_map, durable, not_blank, read, spread
 
 #: Letters that look like the Latin letter below them (Cyrillic, then Greek).
 CYRILLIC_TWINS = "аеорсухѕіјһԁԛԝАВЕКМНОРСТХЅІЈҮ"
 CYRILLIC_LATIN = "aeopcyxsijhdqwABEKMHOPCTXSIJY"
-GREEK_TWINS = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο"
-GREEK_LATIN = "ABEZHIKMNOPTYXo"
+GREEK_TWINS = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϹ"
+GREEK_LATIN = "ABEZHIKMNOPTYXovcC"
+#: The same of further Cyrillic, Armenian and Latin letters.
+OTHER_TWINS = "ӏԌօհոսıɡ"
+OTHER_LATIN = "lGohnuig"
 #: Hyphens that look like the hyphen-minus.
 HYPHENS = "‐‑‒⁃−"
 #: Ranges of default-ignorable code points, from the Unicode property Default_Ignorable_Code_Point.
@@ -43,23 +49,29 @@ def _ignorables() -> list[int]:
     return out
 
 
-_LINE_BREAKS = "\n\r  \x0b\x0c\x85"
 #: One table for what doesn't depend on context: ignorables go, white space becomes a space, hyphens one hyphen.
 _TABLE: dict[int, str | None] = dict.fromkeys(_ignorables())
 _TABLE |= {c: " " for c in range(sys.maxunicode) if category(chr(c)) == "Zs" and c != 0x20} | {ord("\t"): " "}
-_TABLE |= dict.fromkeys(map(ord, HYPHENS), "-") | dict.fromkeys(map(ord, "\r  \x0b\x0c\x85"), "\n")
-_TO_LATIN = str.maketrans(CYRILLIC_TWINS + GREEK_TWINS, CYRILLIC_LATIN + GREEK_LATIN)
-_TWINS = re.compile(f"[{CYRILLIC_TWINS}{GREEK_TWINS}]")
+_TABLE |= dict.fromkeys(map(ord, HYPHENS), "-") | dict.fromkeys(map(ord, "\r\u2028\u2029\x0b\x0c\x85"), "\n")
+_ODD_ASCII = re.compile(r"[\t\r\x0b\x0c]")
+_TO_LATIN = str.maketrans(CYRILLIC_TWINS + GREEK_TWINS + OTHER_TWINS, CYRILLIC_LATIN + GREEK_LATIN + OTHER_LATIN)
+_OTHER_SCRIPT = re.compile(r"[\u0370-\u058f\u1f00-\u1fff\u0131\u0261]")  # where twins are, composed or not
+_TWINS = re.compile(f"[{CYRILLIC_TWINS}{GREEK_TWINS}{OTHER_TWINS}]")
+
+
+def readable(text: str) -> str:
+    """The one form of a value, letters left in their script."""
+    if text.isascii() and not _ODD_ASCII.search(text):
+        return text
+    return normalize("NFKC", text.replace("\r\n", "\n").translate(_TABLE)).translate(_TABLE)
 
 
 def canonical(text: str) -> str:
-    """The one form of a value. canonical(canonical(x)) == canonical(x)."""
-    if text.isascii():
-        return text.replace("\r\n", "\n").replace("\r", "\n").replace("\t", " ")
-    text = normalize("NFKC", text.replace("\r\n", "\n").translate(_TABLE)).translate(_TABLE)
-    if _TWINS.search(text):
-        text = text.translate(_TO_LATIN)
-    return normalize("NFC", text)
+    """The one form of a value, for comparison. canonical(canonical(x)) == canonical(x)."""
+    text = readable(text)
+    if not text.isascii() and _OTHER_SCRIPT.search(text) and _TWINS.search(d := normalize("NFD", text)):
+        text = normalize("NFC", d.translate(_TO_LATIN))
+    return text
 
 
 def _fold(text: str) -> str:
@@ -95,18 +107,22 @@ def with_form(df: DataFrame, text_col: str, form_col: str = "form", fold_col: st
 RECORDS = (("odl_paragraphs", "para_id", "text"), ("odl_tables", "tbl_id", "label"), ("odl_captions", "cap_id", "text"))
 
 
+HOT, SALTS = 5000, 16  #: members above which a group is dealt out over tasks, and over how many
+
+
 def _unlike(df: DataFrame) -> DataFrame:
     """Pairs of rows of (rec, document_id, id, text, form) in one group with one form and different characters.
 
-    First whole groups are weighed by hashes only: groups of one spelling, nearly all, never reach a join."""
-    keys = ["rec", "document_id", "form"]
-    spelt = df.select("rec", "document_id", "id", F.xxhash64("form", F.lit(1)).alias("form"), F.xxhash64("text").alias("spelling"), F.xxhash64("text", F.lit(7)).alias("spelling2")).distinct()
-    one = spelt.groupBy(*keys, "spelling", "spelling2").agg(F.collect_set("id").alias("ids"))
-    groups = one.groupBy(*keys).agg(F.collect_list(F.struct("spelling", "spelling2", "ids")).alias("s")).where(F.size("s") > 1)
-    a = groups.select("rec", F.posexplode("s").alias("i", "a"), "s")
-    b = a.select("rec", "a", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("b"))
-    ids = b.select("rec", F.explode("a.ids").alias("x"), F.col("b.ids").alias("ids")).select("rec", "x", F.explode("ids").alias("y"))
-    return ids.where(F.col("x") != F.col("y")).select("rec", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+    Only hashes move. Groups of one spelling, nearly all, never reach the join; a hot group is joined in salted parts."""
+    keys = ["rec", "document_id", "form", "form2"]
+    look = [F.xxhash64("form", F.lit(1)).alias("form"), F.xxhash64("form", F.lit(2)).alias("form2")]
+    spelt = durable(df.select("rec", "document_id", "id", *look, F.struct(F.xxhash64("text"), F.xxhash64("text", F.lit(7))).alias("spelling")).distinct())
+    groups = spelt.groupBy(*keys).agg(F.min("spelling").alias("a"), F.max("spelling").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select(*keys, "n")
+    rows = spelt.join(groups, keys).withColumn("salts", F.when(F.col("n") > HOT, SALTS).otherwise(1))
+    left = rows.select(*keys, F.col("id").alias("x"), F.col("spelling").alias("s"), F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"))
+    right = rows.select(*keys, F.col("id").alias("y"), F.col("spelling").alias("t"), F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("salts") - 1).cast("bigint"))).alias("salt"))
+    pairs = left.join(right, [*keys, "salt"]).where((F.col("s") < F.col("t")) & (F.col("x") != F.col("y")))
+    return pairs.select("rec", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
 def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,5 +140,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each value with its one form."""
-    return forms(spark, sf_dir).select("rec", "id", "text", "form").distinct()
+    """(rec, id, text, form, folded): each value with its one form and its case-folded form."""
+
+    def run(b: pa.RecordBatch) -> dict:
+        out = {n: b.column(i) for i, n in enumerate(("rec", "id", "text", "form"))}
+        return out | {"folded": _forms(b.column(3), _fold)}
+
+    return arrow_map(forms(spark, sf_dir).select("rec", "id", "text", "form").distinct(), run, "rec string, id bigint, text string, form string, folded string")

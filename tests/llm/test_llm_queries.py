@@ -7,7 +7,7 @@ from foliospark.llm.queries import QUERIES, SQL
 
 TINY = "/root/testdata/sf0.001"
 COLUMNS = {
-    "p1_found": ["para_id", "end_pos"], "p2_found": ["rec", "id_a", "id_b"], "p2_forms": ["rec", "id", "text", "form"], "p3_found": ["para_id"],
+    "p1_found": ["para_id", "end_pos"], "p2_found": ["rec", "id_a", "id_b"], "p2_forms": ["rec", "id", "text", "form", "folded"], "p3_found": ["para_id"],
     "p4_found": ["rec", "row_id", "elem", "seq"], "p5_found": ["rec", "rec_key", "lang"], "p6_found": ["rec", "row_id", "line_no", "fix"], "p7_ids": ["doc_id", "ids"],
     "p8_packs": ["capacity_id", "container_id", "doc_id", "piece", "tokens"], "p9_found": ["doc_id"],
 }
