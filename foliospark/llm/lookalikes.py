@@ -116,7 +116,7 @@ def _unlike(df: DataFrame) -> DataFrame:
     Only hashes move. Groups of one spelling, nearly all, never reach the join; a hot group is joined in salted parts."""
     keys = ["rec", "document_id", "form", "form2"]
     look = [F.xxhash64("form", F.lit(1)).alias("form"), F.xxhash64("form", F.lit(2)).alias("form2")]
-    spelt = durable(df.select("rec", "document_id", "id", *look, F.struct(F.xxhash64("text"), F.xxhash64("text", F.lit(7))).alias("spelling")).distinct())
+    spelt = durable(df.select("rec", "document_id", "id", *look, F.struct(F.xxhash64("text"), F.xxhash64("text", F.lit(7))).alias("spelling")))  # repeated rows fall out with the pairs
     groups = spelt.groupBy(*keys).agg(F.min("spelling").alias("a"), F.max("spelling").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select(*keys, "n")
     rows = spelt.join(groups, keys).withColumn("salts", F.when(F.col("n") > HOT, SALTS).otherwise(1))
     left = rows.select(*keys, F.col("id").alias("x"), F.col("spelling").alias("s"), F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"))
