@@ -20,6 +20,9 @@ _WORDS = re.compile(r"[^\s\x1c-\x1f\x85]+")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+")
 SCHEMA = "document_id string, unit bigint, child bigint, structural_type string, zone string, display_text string, token_count bigint, first_node bigint, last_node bigint, first_page bigint, last_page bigint, is_continuation boolean"
 
+_KINDS = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}
+_COLUMNS = [(n, _KINDS[k]) for n, k in (c.split() for c in SCHEMA.split(", "))]
+
 
 def approx_tokens(text: str) -> int:
     """The size estimate of the functions module, for a Python string."""
@@ -70,10 +73,11 @@ def units(nodes: DataFrame) -> DataFrame:
 
 
 def children(nodes: DataFrame) -> DataFrame:
-    """The children of every unit, of rows of (document_id, unit, pos, page_index, type, zone, text, child_tokens, keep_atomic)."""
+    """The children of every unit, of rows of (document_id, unit, pos, page_index, type, zone, text, child_tokens, keep_atomic).
+
+    Units are dealt out and sorted by the engine and read as a stream, so a task holds the texts of one unit at a time."""
 
-    def run(t: pa.Table) -> pa.Table:
-        rows = sorted(t.to_pylist(), key=lambda r: r["pos"])
+    def of_unit(rows: list[dict]) -> list[tuple]:
         page = {r["pos"]: r["page_index"] for r in rows}
         zones: dict[str, int] = {}
         for r in rows:
@@ -85,11 +89,26 @@ def children(nodes: DataFrame) -> DataFrame:
         for k, (kind, at, text) in enumerate(got, 1):
             pages = [page[p] for p in at]
             out.append((rows[0]["document_id"], rows[0]["unit"], k, kind, zone, text, approx_tokens(text), at[0], at[-1], min(pages), max(pages), kind == "text" and k > 1 and got[k - 2][0] == "text"))
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
-        kinds = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}
-        return pa.table({n: pa.array([r[i] for r in out], kinds[c.split()[1]]) for i, (n, c) in enumerate(zip(names, SCHEMA.split(", "), strict=True))})
+        return out
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, (_, kind) in enumerate(_COLUMNS)], names=[n for n, _ in _COLUMNS])
+
+    def run(batches):
+        held: list[dict] = []
+        for b in batches:
+            out: list[tuple] = []
+            for r in b.to_pylist():
+                if held and (r["document_id"], r["unit"]) != (held[0]["document_id"], held[0]["unit"]):
+                    out += of_unit(held)
+                    held = []
+                held.append(r)
+            yield batch(out)
+        if held:
+            yield batch(of_unit(held))
 
-    return nodes.groupBy("document_id", "unit").applyInArrow(run, SCHEMA)
+    dealt = nodes.repartition("document_id", "unit").sortWithinPartitions("document_id", "unit", "pos")
+    return dealt.mapInArrow(run, SCHEMA)
 
 
 def linked(child: DataFrame) -> DataFrame:
