@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, durable, read, spread
 from .lookalikes import canonical
 
+RECURS = 40  #: letters that a line which recurs may have and still be a running head
 HELD = 400_000  #: pairs that a task counts before it hands them on
 LEAST = 4  #: times a word must occur, at least, to be in the lexicon
 #: The same as a share of all words and pairs; it bounds the lexicon by 1 / SHARE entries, whatever the corpus.
@@ -62,6 +63,7 @@ _TWINNED = re.compile(r"[Ͱ-Ͽ‐-⁯！-
 _RUSSIAN = re.compile(r"[бвгджзийклмнптфцчшщъыьэюя]{2}")
 _ITEM = re.compile(r"\s*(?:[-*+•·]|\d+[.)])\s")
 _NO_MAYBE = re.compile(r"[!?。！？।؟…:;,、，；]$|[.]{2,}$|-$")
+_UNDERLINE = re.compile(r"\s{0,3}(?:={3,}|-{3,})\s*$")
 _FENCE = re.compile(r"^\s*(`{3,}|~{3,})")
 _FORM = re.compile(r"^\d{0,4}\s*[^|.!?]{1,40} \| [^|.!?]{1,90}\.?$|^[^|!?]{2,90} · (?:19|20)[\dOolI]{2}(?:\s+\d{1,4})?\.?$|^\d{1,4}\s{2,}[^|.!?]{2,90}\.?$|^[^|.!?]{2,90}\s{2,}\d{1,4}\.?$")
 
@@ -265,7 +267,7 @@ def lines_of(text: str, heading: bool = False) -> list[tuple[str, str]]:
             out.append((line, "head"))
             top = True
             continue
-        elif _MARKUP.match(s) and not _ITEM.match(line) or s[-1].isdigit() and _CONTENTS.search(s):
+        elif i + 1 < len(raw) and _UNDERLINE.match(raw[i + 1]) or _MARKUP.match(s) and not _ITEM.match(line) or s[-1].isdigit() and _CONTENTS.search(s):
             out.append((line, "aside"))
         elif len(s) <= 90 and (top or i == last) and not _NO_MAYBE.search(s) and (not s.endswith(".") or len(s) < 70):
             out.append((line, "maybe"))
@@ -420,8 +422,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = _fixes(spark, sf_dir, lexicon(spark, sf_dir))
     maybe = got.where(F.col("fix").isNull() & F.col("document_id").isNotNull()).withColumn("dot", F.col("key").startswith("."))
     maybe = maybe.withColumn("key", F.regexp_replace("key", r"^\.", "")).where(F.length("key") > 0)
-    # a sentence may recur; only lines without a full stop count as recurring heads
-    pages = maybe.where(~F.col("dot")).groupBy("rec", "document_id", "key").agg(F.countDistinct("page_index").alias("pages")).where(F.col("pages") > 1)
+    # sentences recur too: only short lines of whole pages without a full stop count as recurring heads
+    pages = maybe.where(~F.col("dot") & (F.col("rec") != "odl_paragraphs") & (F.length("key") <= RECURS)).groupBy("rec", "document_id", "key").agg(F.countDistinct("page_index").alias("pages")).where(F.col("pages") > 1)
     heads = pages.select("document_id", "key").union(titles(spark, sf_dir)).distinct()
     drop = maybe.join(heads, ["document_id", "key"], "left_semi").select("rec", "row_id", "line_no", F.lit("drop").alias("fix"))
     sure = got.where(F.col("fix").isNotNull()).select("rec", "row_id", "line_no", "fix")

@@ -44,3 +44,8 @@ def test_head_forms(line, is_it):
 
 def test_key_ignores_noise():
     assert scans.head_key("MFTHOD: THE TANK  5") == scans.head_key("Method: the tank") == scans.head_key("Acme | Method: thc tank.")
+
+
+def test_underlined_heading_is_no_head():
+    roles = [r for _, r in scans.lines_of("Scope\n=====\n\nthe tank was moved to the upper floor.")]
+    assert roles[0] == "aside"
