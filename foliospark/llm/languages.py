@@ -247,7 +247,7 @@ def stretches(text: str, corpus: bool = False) -> list[tuple[str, bool]]:
             continue
         parts = [p for p in _STOP.split(line) if p and not p.isspace()]
         done = bool(_END.search(line)) or len(parts) > 1
-        out += [(p, True if k < len(parts) - 1 else done or not corpus or len(p) > 60) for k, p in enumerate(parts)]
+        out += [(p, True if k < len(parts) - 1 else done or not corpus or len(p) > (25 if "ก" <= p[-1] <= "๛" or "ก" <= p[0] <= "๛" else 60)) for k, p in enumerate(parts)]
     return out
 
 
