@@ -26,6 +26,7 @@ from pyspark.sql.window import Window
 from .common import arrow_map, hashed_sample, read, spread
 
 SAMPLE = 5000  #: texts learned from
+SAMPLE_CHARS = 20_000  #: length up to which a text is learned from, so that what reaches the driver is bounded; all are scored
 BUCKETS = 1 << 14
 LEAST_LIMIT = 64  #: characters below which a length that recurs is no limit
 
@@ -226,7 +227,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, score) of every text."""
     df = read(spark, sf_dir, "documents", "doc_id", "source", "text", "n_chars")
     lim = limits(df)
-    rows = [(r["text"], r["n_chars"], r["at_limit"]) for r in standing(hashed_sample(df.where(F.length("text").between(1, 20000)), "doc_id", SAMPLE), lim).toArrow().to_pylist()]
+    rows = [(r["text"], r["n_chars"], r["at_limit"]) for r in standing(hashed_sample(df.where(F.length("text").between(1, SAMPLE_CHARS)), "doc_id", SAMPLE), lim).toArrow().to_pylist()]
     model = train([(t, None if d is None else int(d), a) for t, d, a in sorted(rows, key=lambda r: (r[0], str(r[1])))])
 
     def run(b: pa.RecordBatch) -> dict:

@@ -27,6 +27,7 @@ from .sentences import _CYRILLIC_ONLY, _DROP, _TO_CYRILLIC
 
 SAMPLE = 3000  #: documents whose labels are learned from
 STRETCHES = 8  #: of each of them, at most
+SAMPLE_CHARS = 6000  #: of each of them, in training only, so that what reaches the driver is bounded
 BUCKETS = 1 << 15
 LANGS = ("en", "ko", "ja", "zh", "de", "fr", "es", "pt", "ru", "th", "ar", "hi")
 #: Spellings of language labels: codes of ISO 639-1, 639-2 and 639-3, English and own names.
@@ -220,7 +221,7 @@ def fitted(spark: SparkSession, sf_dir: str) -> Model:
     """The model of the labelled documents of a hash sample, at most STRETCHES of each, chosen by even steps."""
     df = read(spark, sf_dir, "documents", "doc_id", "text", "lang").withColumn("lang", label_language(F.col("lang"))).where(F.col("lang").isNotNull() & (F.length("text") > 40))
     cases = []
-    for r in hashed_sample(df.select("doc_id", F.substring("text", 1, 6000).alias("text"), "lang"), "doc_id", SAMPLE).toArrow().to_pylist():
+    for r in hashed_sample(df.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "lang"), "doc_id", SAMPLE).toArrow().to_pylist():
         st = [s for s, e in stretches(r["text"], corpus=True) if e and len(s) > 12]
         cases += [(s[:400], r["lang"]) for s in st[:: max(1, -(-len(st) // STRETCHES))]]
     return train(cases)

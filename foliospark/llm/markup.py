@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, hashed_sample, read, spread
 
 SAMPLE = 1200  #: pages of each table whose texts the training pages are made of
+SAMPLE_CHARS = 2000  #: of each of them, in training only, so that what reaches the driver is bounded
 TRAIN_PAGES = 1400
 HIDDEN, WORDS, EPOCHS, BATCH = 16, 24, 5, 50
 LABELS = ("text", "heading", "list_item", "code_block", "formula", "table", "table_row", "noise")
@@ -441,7 +442,7 @@ def fitted(spark: SparkSession, sf_dir: str) -> BiLSTM:
     texts: list[str] = []
     for table, key in (("page_outcomes", "out_id"), ("normalized_pages", "np_id")):
         df = read(spark, sf_dir, table, key, "markdown").where(F.length("markdown") > 0)
-        for row in hashed_sample(df.select(key, F.substring("markdown", 1, 2000).alias("markdown")), key, SAMPLE).toArrow().column("markdown").to_pylist():
+        for row in hashed_sample(df.select(key, F.substring("markdown", 1, SAMPLE_CHARS).alias("markdown")), key, SAMPLE).toArrow().column("markdown").to_pylist():
             texts += [t for t in re.findall(r"(?m)^(?![#*=|<>$`~{}%\\-])[^\n$\\<>`{}|=#*_]{15,}", row)]
     return train(sorted(set(texts))[:6000])
 
