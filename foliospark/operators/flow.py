@@ -188,3 +188,41 @@ def match_tables(gold: list[tuple[str | None, str]], got: list[tuple[str | None,
         if best is not None:
             free.remove(best)
     return out
+
+
+_LOWER = re.compile(r"[a-zà-ÿа-яё]")
+_NUMBERED = re.compile(r"^(#{1,6})\s+(\d+(?:\.\d+)*)[.)]?(?=\s+\D)")
+
+
+def stitch(pages: list[str | None]) -> str:
+    """Pages in order as one text, an invisible mark at each break. A last paragraph without an end mark goes on in the next
+    page's first one where that begins in small letters or both are of a script without spaces; a broken word is joined."""
+    out = ""
+    for k, page in enumerate(p for p in pages if p and p.strip()):
+        mark, body = f"<!-- page {k + 1} -->", page.strip("\n")
+        if not out:
+            out = f"{mark}\n\n{body}"
+            continue
+        a, b = out.rstrip(), body.lstrip()
+        tail = a[a.rfind("\n") + 1 :]
+        open_end = a[-1] not in ENDS and not UNIT_START.match(tail) and not UNIT_START.match(b)
+        if open_end and a[-1] == "-" and _LOWER.match(b):
+            out = f"{a[:-1]}{mark}{b}"
+        elif open_end and _LOWER.match(b):
+            out = f"{a} {mark}{b}"
+        elif open_end and CJK.match(a[-1]) and CJK.match(b):
+            out = f"{a}{mark}{b}"
+        else:
+            out = f"{a}\n\n{mark}\n\n{b}"
+    return out
+
+
+def relevel(text: str) -> str:
+    """Markdown headings with a decimal number at the level of its depth, six at most; others and fenced lines as they are."""
+    out, fenced = [], False
+    for line in text.split("\n"):
+        if line.lstrip().startswith(("```", "~~~")):
+            fenced = not fenced
+        m = None if fenced else _NUMBERED.match(line)
+        out.append("#" * min(6, m.group(2).count(".") + 1) + line[m.end(1) :] if m else line)
+    return "\n".join(out)

@@ -106,3 +106,15 @@ def test_page_queries(spark):
     merged = q["win03_merged"](spark, TINY)
     assert 0 < merged.count() <= spark.read.parquet(f"{TINY}/odl_paragraphs.parquet").count()
     assert q["win22_clusters"](spark, TINY).count() > 0
+
+
+def test_stitch():
+    assert flow.stitch([]) == "" and flow.stitch([None, " ", ""]) == ""
+    assert flow.stitch(["one goes", "on here.", "Next"]) == "<!-- page 1 -->\n\none goes <!-- page 2 -->on here.\n\n<!-- page 3 -->\n\nNext"
+    assert flow.stitch(["a bro-", "ken word"]) == "<!-- page 1 -->\n\na bro<!-- page 2 -->ken word"
+    assert flow.stitch(["日本語", "の文"]) == "<!-- page 1 -->\n\n日本語<!-- page 2 -->の文"
+    assert "\n\n" in flow.stitch(["| a |", "b"])[16:]
+
+
+def test_relevel():
+    assert flow.relevel("# 1.2 Scope\n### 3 Method\n# Plain\n```\n# 1.1 x\n```\n## 2020 2021") == "## 1.2 Scope\n# 3 Method\n# Plain\n```\n# 1.1 x\n```\n## 2020 2021"
