@@ -78,7 +78,7 @@ _MASTER = re.compile(
   | (?P<folio>^[ \t]*(?:[-—–~\[(]+[ \t]*\d{1,4}[ \t]*[-—–~\])]+|\d{1,4}(?:/\d{1,4})?|(?:p\.|Page|S\.)[ \t]*\d{1,4}(?:[ \t]+of[ \t]+\d{1,4})?)[ \t]*$)
   | (?P<bullet>^[ \t]*[-*+•▪◦‣]{1,4}(?=[ \t]+\S))
   | (?P<bullet_tight>^\*{1,3}(?=[^\s*])(?![^\n]*[^\s*]\*))
-  | (?P<number>^[ \t]*\(?(?:\d{1,3}|[a-zA-Z])[.)](?=[ \t]+\S))
+  | (?P<number>^[ \t]*(?:\(?\d{1,3}[.)]|\(?(?-i:[a-z])\))(?=[ \t]+\S))
   | (?P<quote>^[ \t]*>)
     """,
     re.X | re.M | re.S | re.I,
@@ -450,6 +450,32 @@ def fitted(spark: SparkSession, sf_dir: str) -> BiLSTM:
 # ---- queries --------------------------------------------------------------------------------------------------
 
 
+def _may_list(text: str, leaf: Leaf) -> bool:
+    """Whether a hash mark can be an item: on a page with other wiki markup, or in a run of such lines."""
+    end = text.find("\n", leaf.end)
+    before = text[: leaf.start].rpartition("\n")[0].rpartition("\n")[2] if leaf.start else ""
+    return bool(_WIKI.search(text)) or end >= 0 and text[end + 1 : end + 2] == "#" or before.startswith("#")
+
+
+_MARK = re.compile(r"[ \t]*(?:[-*+•#]|\(?\w{1,3}[.)])[ \t]")
+
+
+def _goes_on(text: str, leaf: Leaf) -> bool:
+    """Whether a number at the head of a line belongs to a sentence of the line before: that one is neither blank nor an
+    item and doesn't end a sentence."""
+    before = text[: leaf.start].rpartition("\n")[0].rpartition("\n")[2] if leaf.start else ""
+    return bool(before.strip()) and not _MARK.match(before) and before.rstrip()[-1] not in ".!?。！？।؟:：>”»\"=-`~|)]}"
+
+
+def checked(text: str, leaf: Leaf, label: str) -> str:
+    """The label a leaf keeps where its mark has two readings that its surroundings tell apart."""
+    if leaf.atom == "hash" and label == "list_item" and not _may_list(text, leaf):
+        return "heading"
+    if leaf.atom == "number":
+        return "text" if _goes_on(text, leaf) else "list_item"
+    return label
+
+
 def label_pages(texts: list[str], model: BiLSTM) -> list[list[tuple[Leaf, str]]]:
     """(leaf, label) of each page."""
     ls = [leaves(t) for t in texts]
@@ -457,7 +483,7 @@ def label_pages(texts: list[str], model: BiLSTM) -> list[list[tuple[Leaf, str]]]
     got = model.label([features(texts[i], ls[i]) for i in some], [np.array([ATOMS[x.atom] for x in ls[i]]) for i in some])
     out: list[list[tuple[Leaf, str]]] = [[] for _ in texts]
     for i, y in zip(some, got, strict=True):
-        out[i] = [(x, LABELS[k]) for x, k in zip(ls[i], y, strict=True)]
+        out[i] = [(x, checked(texts[i], x, LABELS[k])) for x, k in zip(ls[i], y, strict=True)]
     return out
 
 

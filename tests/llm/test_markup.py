@@ -62,3 +62,9 @@ def test_clean_keeps_structure(model):
 def test_rows():
     assert len(markup.table_leaves(["<TABLE><TR><TH>a<TR><td>b</tr></TABLE>", None, "<tr><td>c"])) == 3
     assert markup.table_leaves([]) == []
+
+
+def test_context_tells_marks_apart(model):
+    assert count(model, "Acme | Scope\n## Method\n\nThe version of\n5. March lacks a form.\n2. Second point of a list.") == {"heading": 1, "list_item": 1}
+    assert count(model, "1. Only one item here") == {"list_item": 1}
+    assert count(model, "M. Smith put the bolts away.") == {}
