@@ -4,10 +4,12 @@ Intact texts of a bounded hash sample (SAMPLE) are cut at random places, bare or
 regression over hashed features learns them against the intact ones: closing characters and their shape, what line and
 what open mark the text ends in, whether its last word is a word, and how its length stands to its source's limit. Every
 record is scored. A source's limit is a length, in characters or in bytes, that many of its distinct texts share and hardly
-any exceeds; it is found from the counts of all lengths of all sources.
+any exceeds; it is found from the counts of all lengths of all sources. What a limit proves of a text with a whole ending is
+learned from the sample: they count as cut there by the share that cuts at random places would leave.
 
-Defined results: null, empty and blank texts aren't cut; a text that ends in a caption, link, list, table, code, name or
-bibliography line is whole unless it stands at a limit or bears a mark; rows without a source have no limit of their own.
+Defined results: null, empty and blank texts and lone numbers aren't cut; a text that ends in a caption, link, list, table, code, name or
+bibliography line is whole unless it bears a mark, or stands at a limit where chance leaves most such endings; an announcement that the text is to
+be continued is a note of its author, and the text before it is what is judged; rows without a source have no limit of their own.
 """
 
 from __future__ import annotations
@@ -28,14 +30,18 @@ from .common import arrow_map, hashed_sample, read, spread
 SAMPLE = 5000  #: texts learned from
 SAMPLE_CHARS = 20_000  #: length up to which a text is learned from, so that what reaches the driver is bounded; all are scored
 BUCKETS = 1 << 14
+LIMITED = 0.35  #: share of the artificial cuts that stand at a limit
+LONG = 8  #: characters that a Thai ending is known by
 LEAST_LIMIT = 64  #: characters below which a length that recurs is no limit
 
 #: Marks that cutting leaves behind.
-MARKS = re.compile(r"(?:…|\.\.\.|\[\.\.\.\]|\[…\]|\(\.\.\.\)|�|\((?:cont|more)[^)\n]{0,12}\)?|\[(?:cont|more|truncated)[^\]\n]{0,12}\]?|(?:to be continued|read more|continued|<truncated>)\s*(?:\.\.\.|…)?)\s*\Z", re.I)
+MARKS = re.compile(r"(?:…|\.\.\.|\[\.\.\.\]|\[…\]|\(\.\.\.\)|�|\((?:cont|more)[^)\n]{0,12}\)?|\[(?:cont|more|truncated)[^\]\n]{0,12}\]?|(?:read more|continued|<truncated>)\s*(?:\.\.\.|…)?)\s*\Z", re.I)
+#: Fixed value: an author's announcement behind a sentence or on a line of its own; whoever cuts a text doesn't write it.
+NOTE = re.compile(r"(?:\A|\n|(?<=[.!?。！？।؟॥．｡\"”»」』)]))\s*[(\[]?to be continued\s*(?:\.{1,3}|…)?[)\]]?\s*\Z", re.I)
 _ENTITY = re.compile(r"&#?\w{0,7}\Z|\\\w*\Z|<[^<>\n]{0,80}\Z")
 _END = "[.!?。！？।؟॥．｡]"
 _CLOSE = r"[\"'”»’」』)\]）*_​-‏⁠﻿]"
-_WHOLE = re.compile(rf"{_END}{_CLOSE}*\s*\Z")
+_WHOLE = re.compile(rf"{_END}(?:{_CLOSE}|[ \u00a0\u202f][»›”])*\s*\Z")
 _KINDS = (
     ("fence", re.compile(r"^\s*(?:```+|~~~+)\s*$")), ("table", re.compile(r"^\s*\|.*\|\s*$")), ("tablecut", re.compile(r"^\s*\|")), ("link", re.compile(r"^\s*<?https?://\S+$")),
     ("omitted", re.compile(r"^\s*\[[^\]]+\]\s*$")), ("cite", re.compile(r"^\s*\([^()]+,\s*\d{4}[a-z]?\)\s*$")), ("name", re.compile(r"^\s*[—–]\s+\S")),
@@ -43,6 +49,7 @@ _KINDS = (
     ("caption", re.compile(r"^\s*(?:fig(?:ure|ura|\.)?|tab(?:le|la|ela|leau|elle|\.)?|abb(?:ildung|\.)?|рис(?:унок|\.)?|табл(?:ица|\.)?|그림|표|図|表|图|รูปที่|ตารางที่|الشكل|الجدول|شكل|جدول|चित्र|तालिका)\s*[\d٠-٩]+(?:-\d+)?[.:：]?(?:\s|$)", re.I)),
     ("item", re.compile(r"^\s*(?:[-*+•·]|\(?\d{1,3}[.)]|[a-z]\))\s+\S")),
 )
+_NUMBER = re.compile(r"\s*[\d.,]*\d\s*\Z")
 _DIGIT = re.compile(r"\d")
 _LAST = re.compile(r"[^\W\d_]+\Z")
 _OPEN = {"(": ")", "[": "]", "“": "”", "«": "»", "「": "」", "『": "』", "（": "）"}
@@ -56,6 +63,11 @@ def _script(c: str) -> str:
     return "o"
 
 
+def _letter(s: str) -> str:
+    """The script of the last letter."""
+    return _script(next((c for c in reversed(s[-40:]) if c.isalpha()), s[-1:] or "o"))
+
+
 def _shape(s: str) -> str:
     return "".join("U" if c.isupper() else "l" if c.islower() else "d" if c.isdigit() else "x" if c.isalpha() else " " if c.isspace() else c for c in s)
 
@@ -67,6 +79,8 @@ class Words:
         self.words: Counter = Counter()
         self.tails: Counter = Counter()
         self.inner: Counter = Counter()
+        self.spaced: Counter = Counter()  # of Thai, whose sentences end at a space: longer endings
+        self.among: Counter = Counter()
         self.lines: Counter = Counter()
         for t in texts:
             ls = [x.rstrip() for x in t.split("\n") if x.strip()]
@@ -77,19 +91,26 @@ class Words:
                 parts = line.split(" ") if "ก" <= line[-1:] <= "๛" or "ก" <= line[:1] <= "๛" else [line]  # Thai sentences end at a space
                 for part in parts[: -1 if k == len(ls) - 1 else None]:
                     self.tails[part[-3:]] += 1
+                if _letter(line) == "t":
+                    stops = [i for i, c in enumerate(line) if c == " "] + [len(line)] * (k < len(ls) - 1)
+                    self.spaced.update(line[max(0, i - LONG) : i] for i in stops)
+                    self.among.update(line[i : i + LONG] for i in range(LONG, len(line) - LONG, 2))
                 if k < len(ls) - 1 and len(line) < 100:
                     self.lines[line.strip()] += 1
                 for i in range(8, len(line) - 3, 5):
                     self.inner[line[i : i + 3]] += 1
         self.nt, self.ni = max(1, self.tails.total()), max(1, self.inner.total())
+        self.ns, self.na = max(1, self.spaced.total()), max(1, self.among.total())
         self.lines = Counter({x: n for x, n in self.lines.items() if n > 1})
         self.words = Counter({w: n for w, n in self.words.items() if n > 1})
         self.prefixes = {w[:i] for w in self.words for i in range(1, len(w))}
 
     def tail(self, t: str) -> int:
-        """How much likelier the last three characters end a line than stand inside one, in steps."""
-        s = _DIGIT.sub("0", t[-3:])
-        return int(np.clip(round(np.log(((self.tails[s] + 0.05) / self.nt) / ((self.inner[s] + 0.05) / self.ni))), -5, 5))
+        """How much likelier the last characters end a line than stand inside one, in steps."""
+        s = _DIGIT.sub("0", t[t.rfind("\n") + 1 :][-LONG:])
+        near = ((self.tails[s[-3:]] + 0.05) / self.nt) / ((self.inner[s[-3:]] + 0.05) / self.ni)
+        far = ((self.spaced[s] + 0.05) / self.ns) / ((self.among[s] + 0.05) / self.na) if _letter(t) == "t" else 0.0
+        return int(np.clip(round(np.log(max(near, far))), -5, 5))
 
     def last(self, t: str) -> str:
         m = _LAST.search(t[-40:])
@@ -118,7 +139,7 @@ def features(text: str, declared: int | None, at_limit: str, words: Words) -> li
     mark = MARKS.search(body)
     core = body[: mark.start()].rstrip() if mark else body
     whole = bool(_WHOLE.search(core))
-    script = _script(core[-1:] or "o")
+    script = _letter(core)
     tail, last = words.tail(body), words.last(core)
     opened = "".join(o for o, c in _OPEN.items() if line.count(o) > line.count(c)) + ('"' if line.count('"') % 2 else "")
     over = "no" if declared is None or declared <= len(text) else "bytes" if declared == len(text.encode("utf-8", "replace")) else "over"
@@ -138,12 +159,30 @@ class Model:
         self.words, self.weights = words, weights
 
     def score(self, text: str, declared: int | None, at_limit: str) -> float:
-        if not any(c.isalnum() for c in text):
+        text, declared, at_limit = judged(text, declared, at_limit)
+        if not any(c.isalnum() for c in text) or at_limit == "no" and _NUMBER.match(text):
             return 0.0
         z = float(self.weights[features(text, declared, at_limit, self.words)].sum() + self.weights[-1])
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def judged(text: str, declared: int | None, at_limit: str) -> tuple[str, int | None, str]:
+    """The text before an author's announcement, and its declared length; what ends in one in full isn't cut by a limit."""
+    if not (note := NOTE.search(text)):
+        return text, declared, at_limit
+    return text[: note.start()], None if declared is None else declared - (len(text) - note.start()), "no"
+
+
+def closed(text: str, words: Words) -> bool:
+    """Whether a text ends as whole texts do, and not in white space or an open quotation or bracket."""
+    kind, line = end_line(text)
+    if text[-1:].isspace() or any(line.count(o) > line.count(c) for o, c in _OPEN.items()) or line.count('"') % 2:
+        return False
+    if kind in ("fence", "table", "link", "omitted", "cite", "name", "biblio") or words.lines[_DIGIT.sub("0", line).strip()]:
+        return True
+    return kind in ("text", "caption", "item") and (bool(_WHOLE.search(text)) or words.tail(text.rstrip()) >= 2)
+
+
 def intact(text: str, declared: int | None, at_limit: str, words: Words) -> bool:
     """Whether a text is taken for whole in training."""
     if at_limit != "no" or MARKS.search(text.rstrip()) or not text.strip() or _ENTITY.search(text):
@@ -162,27 +201,40 @@ def cut_at_random(r: random.Random, text: str) -> str:
     q = r.random()
     if q < 0.6:
         return t
-    return t + r.choice(("…", "...", " [...]", "[...]", "�", " (cont", "\n(continued)", "&am", " …", "\nTo be continued ..."))
+    return t + r.choice(("…", "...", " [...]", "[...]", "�", " (cont", "\n(continued)", "&am", " …"))
+
+
+def chance(rows: list[tuple[str, int | None, str]], good: list[tuple[str, int | None, str]], unit: str, words: Words, r: random.Random) -> float:
+    """Of the closed texts at the limits, the share that is cut there: as many as chance leaves closed.
+
+    Cuts of the good texts at random places tell how often that is. Where no closed text stands at a limit, 1."""
+    left = Counter(closed(t[: r.randint(20, len(t) - 1)], words) for t, _, _ in good for _ in range(2) if len(t) > 40)
+    seen = Counter(closed(t, words) for t, _, a in rows if a == unit and not MARKS.search(t.rstrip()))
+    return min(1.0, seen[False] * left[True] / max(1, left[False]) / seen[True]) if seen[True] else 1.0
 
 
 def train(rows: list[tuple[str, int | None, str]], seed: int = 17) -> Model:
     """The model of (text, declared length, standing to the limit) rows."""
     r = random.Random(seed)
+    rows = [judged(*x) for x in rows]
     words = Words([t for t, _, _ in rows])
     good = [(t, d, a) for t, d, a in rows if intact(t, d, a, words)]
     x = [features(t, d, a, words) for t, d, a in good]
     y = [0.0] * len(x)
-    for t, d, _ in good[::6]:  # a cut at the limit may fall on any end
-        x.append(features(t, d, r.choice(("chars", "bytes")), words))
-        y.append(1.0)
+    shut = [(t, d) for t, d, _ in good if closed(t, words)]
+    for unit in ("chars", "bytes"):
+        share = chance(rows, good, unit, words, r)
+        for t, d in shut[::12]:  # a cut at the limit may fall on any end
+            x.append(features(t, d, unit, words))
+            y.append(share)
     for t, _, _ in good * 2:
         if len(t) > 40:
             c = cut_at_random(r, t)
-            limit = r.random() < 0.35
+            limit = r.random() < LIMITED
             kind, line = end_line(c)
             shown = kind in ("fence", "table", "link", "omitted", "cite", "name", "caption") or kind == "item" and words.last(c.rstrip()) == "word" or words.lines[_DIGIT.sub("0", line).strip()]
-            if not limit and (_WHOLE.search(c) or shown) and not MARKS.search(c.rstrip()):
-                continue  # nothing shows that it was cut
+            if not MARKS.search(c.rstrip()) and (closed(c, words) if limit else _WHOLE.search(c) or shown):
+                continue  # nothing shows that it was cut, or chance has told
             x.append(features(c, len(t) if r.random() < 0.15 else len(c), ("chars" if r.random() < 0.5 else "bytes") if limit else "no", words))
             y.append(1.0)
     w, g2 = np.zeros(BUCKETS + 1, np.float64), np.full(BUCKETS + 1, 1e-6)
