@@ -53,6 +53,42 @@ def test_pieces_cover_in_order_under_the_size(text, most, overlap):
         assert all(pieces.size(text[b:a]) >= overlap - 1 for (_, a), (b, _) in zip(got, got[1:]))
 
 
+@pytest.mark.parametrize("text", ["w " * 100, "日本" * 130, "One two three four. " * 31])
+@pytest.mark.parametrize("overlap", [0, 8])
+def test_pieces_are_of_even_size(text, overlap):
+    sizes = [pieces.size(text[s:x]) for s, x in pieces.cut(text, 64, overlap, [i + 1 for i, c in enumerate(text) if c == "."])]
+    assert len(sizes) > 2 and max(sizes) - min(sizes) <= max(overlap + 3, 6)
+
+
+def test_cuts_are_the_cheapest():
+    import itertools
+    import random
+
+    r = random.Random(2)
+    for _ in range(40):
+        text = "".join(r.choice(("ab ", "ab, ", "ab. ", "日", "本。", "語、")) for _ in range(11)).rstrip()
+        ends = [i + 1 for i, c in enumerate(text) if c in ".。"]
+        spans = [m.span() for m in pieces._ATOM.finditer(text)]
+        n, most = len(spans), 5
+
+        def price(cuts):
+            total, at = 0.0, [0, *cuts, n]
+            for a, b in zip(at, at[1:]):
+                piece = text[spans[a][0] : spans[b - 1][1]]
+                if pieces.size(piece) > most:
+                    return float("inf")
+                counted = len(pieces._COUNTED.findall(piece))
+                total += pieces.PIECE + pieces.EVEN * ((counted + 1.3 * (b - a - counted)) / most) ** 2
+                if b < n:
+                    stop, gap = spans[b - 1][1], text[spans[b - 1][1] : spans[b][0]]
+                    total += 0.0 if stop in ends else pieces.CLAUSE if text[stop - 1] in ",、" else pieces.WORD if gap else pieces.INSIDE
+            return total
+
+        stops = [b for _, b in spans]
+        got = price([stops.index(x) + 1 for _, x in pieces.cut(text, most, 0, ends)][:-1])
+        assert abs(got - min(price(c) for k in range(n) for c in itertools.combinations(range(1, n), k))) < 1e-9
+
+
 def test_all_pieces_of_the_tables(spark):
     df = e.queries()["p3_pieces"](spark, TINY).collect()
     found = {r.para_id for r in e.queries()["p3_found"](spark, TINY).collect()}
